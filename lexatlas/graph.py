@@ -1,0 +1,65 @@
+"""Co-authorship (p1) and groups of linked records (p3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexatlas.io import kept, table
+
+MOST_PIDS, LEAST_TOGETHER, LEAST_LIFT = 25, 5, 8
+
+
+def coauthors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1: pairs that sign at least 5 texts together and 8 times as many as chance."""
+    a = table(spark, sf_dir, "authorships").where("tid IS NOT NULL AND pid IS NOT NULL").select("tid", "pid").distinct()
+    small = a.groupBy("tid").agg(F.count("*").alias("k")).where(F.col("k") <= MOST_PIDS).select("tid")
+    a = a.join(small, "tid")
+    n_texts = a.agg(F.countDistinct("tid").alias("n"))
+    # a pair with 5 texts in common needs 5 of each
+    counts = a.groupBy("pid").agg(F.count("*").alias("n_pid")).where(F.col("n_pid") >= LEAST_TOGETHER)
+    signed = a.join(counts, "pid").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pid", "n_pid"))).alias("s")).where(F.size("s") > 1)
+    pairs = (
+        signed.select(F.posexplode("s").alias("i", "x"), "s")
+        .select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
+        .groupBy(F.col("x.pid").alias("pid_a"), F.col("y.pid").alias("pid_b"), F.col("x.n_pid").alias("n_a"), F.col("y.n_pid").alias("n_b"))
+        .agg(F.count("*").alias("n_ab"))
+        .where(F.col("n_ab") >= LEAST_TOGETHER)
+    )
+    return pairs.crossJoin(F.broadcast(n_texts)).where(F.col("n_ab") * F.col("n") >= F.lit(LEAST_LIFT) * F.col("n_a") * F.col("n_b")).select("pid_a", "pid_b")
+
+
+def ordered(df: DataFrame) -> DataFrame:
+    """a and b of each pair in either order, the smaller first; a record against itself is no pair."""
+    rest = [c for c in df.columns if c not in ("a", "b")]
+    return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest)
+
+
+def latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, decision) with a < b: the latest decision of each pair that has one."""
+    d = table(spark, sf_dir, "pair_decisions").select("a", "b", "decided_at", F.lower(F.trim("decision")).alias("decision")).where("decision IS NOT NULL")
+    return ordered(d).groupBy("a", "b").agg(F.max_by("decision", F.struct("decided_at", "decision")).alias("decision"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of every node of edges (a, b): root is the smallest id that it reaches. Alternates large and small stars until nothing moves."""
+    e = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen, now = None, mark(e)
+    least = F.min("v").over(Window.partitionBy("u"))
+    while seen != now:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.select("u", "v", F.least("u", least).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        starred = large.select("u", "v", least.alias("m"))
+        e = kept(starred.select("u", F.col("m").alias("v")).unionByName(starred.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        seen, now = now, mark(e)
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+
+
+def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p3: the group of every linked record."""
+    decided = latest_decisions(spark, sf_dir)
+    close = table(spark, sf_dir, "metrics").where("cosine IS NOT NULL AND threshold IS NOT NULL AND NOT isnan(cosine) AND NOT isnan(threshold) AND cosine >= threshold")
+    close = ordered(close.select("a", "b")).distinct().join(decided.where("decision = 'distinct'"), ["a", "b"], "left_anti")
+    links = close.unionByName(decided.where("decision = 'merge'").select("a", "b"))
+    return components(links).select(F.col("id").alias("person_id"), F.col("root").alias("group_id"))

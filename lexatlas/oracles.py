@@ -1,0 +1,45 @@
+"""The queries that SQL can say, for DuckDB over the same tables."""
+
+P1 = """
+WITH a AS (SELECT DISTINCT tid, pid FROM authorships WHERE tid IS NOT NULL AND pid IS NOT NULL),
+k AS (SELECT tid FROM a GROUP BY tid HAVING count(*) <= 25),
+s AS (SELECT a.tid, a.pid FROM a JOIN k USING (tid)),
+n AS (SELECT pid, count(*) AS n FROM s GROUP BY pid),
+ab AS (SELECT x.pid AS pid_a, y.pid AS pid_b, count(*) AS n FROM s x JOIN s y ON x.tid = y.tid AND x.pid < y.pid GROUP BY 1, 2)
+SELECT pid_a, pid_b FROM ab JOIN n p ON p.pid = pid_a JOIN n q ON q.pid = pid_b
+WHERE ab.n >= 5 AND ab.n * (SELECT count(*) FROM k) >= 8 * p.n * q.n
+"""
+
+P2 = r"""
+WITH v AS (SELECT DISTINCT v.* FROM vocabulary v JOIN cohorts c ON v.cohort_id = c.cohort_id AND v.exported_at = c.exported_at),
+t AS (SELECT trim(regexp_replace(lower(nfc_normalize(term)), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS term, sum(n_entities) AS n
+      FROM v WHERE term IS NOT NULL GROUP BY 1),
+p AS (SELECT sum(n_entities) AS people FROM cohorts)
+SELECT term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM t, p WHERE term <> '' AND (n < 3 OR n * 5 > people)
+"""
+
+P3 = """
+WITH RECURSIVE d AS (
+  SELECT least(a, b) AS a, greatest(a, b) AS b, arg_max(lower(trim(decision)), decided_at) AS decision
+  FROM pair_decisions WHERE decision IS NOT NULL AND a <> b GROUP BY 1, 2),
+m AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM metrics WHERE a <> b AND NOT isnan(cosine) AND NOT isnan(threshold) AND cosine >= threshold),
+l AS (SELECT a, b FROM d WHERE decision = 'merge' UNION
+      SELECT m.a, m.b FROM m LEFT JOIN d ON m.a = d.a AND m.b = d.b WHERE d.decision IS NULL OR d.decision <> 'distinct'),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS person_id, a AS other FROM e UNION SELECT r.person_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT person_id, min(other) AS group_id FROM r GROUP BY person_id
+"""
+
+P4 = """
+WITH p AS (
+  SELECT person_id, CASE WHEN start_year IS NULL OR start_year < 1900 THEN -1000000 ELSE start_year END AS s,
+         CASE WHEN end_year IS NULL OR end_year > 2100 THEN 1000000 ELSE end_year END AS e
+  FROM affiliations WHERE person_id IS NOT NULL),
+q AS (SELECT * FROM p WHERE s <= e)
+SELECT DISTINCT x.person_id, CAST(x.e + 1 AS INTEGER) AS gap_start, CAST(min(y.s) - 1 AS INTEGER) AS gap_end
+FROM q x JOIN q y ON x.person_id = y.person_id AND y.s > x.e + 1
+WHERE NOT EXISTS (SELECT 1 FROM q z WHERE z.person_id = x.person_id AND z.s <= x.e + 1 AND z.e > x.e)
+GROUP BY x.person_id, x.e
+"""
+
+ORACLES = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4}

@@ -1,0 +1,24 @@
+"""Years between the affiliations of a person (p4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexatlas.io import table
+
+#: Open ends, beyond every year of an int.
+EVER, FIRST, LAST = 1 << 40, 1900, 2100
+
+
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4: first and last year of each gap between two periods."""
+    start, end = F.col("start_year").cast("long"), F.col("end_year").cast("long")
+    p = table(spark, sf_dir, "affiliations").where("person_id IS NOT NULL").select(
+        "person_id",
+        F.when(start.isNull() | (start < FIRST), -EVER).otherwise(start).alias("s"),
+        F.when(end.isNull() | (end > LAST), EVER).otherwise(end).alias("e"),
+    ).where("s <= e").distinct()
+    before = Window.partitionBy("person_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    g = p.select("person_id", "s", F.max("e").over(before).alias("until")).where("s > until + 1")
+    return g.select("person_id", (F.col("until") + 1).cast("int").alias("gap_start"), (F.col("s") - 1).cast("int").alias("gap_end"))

@@ -1,0 +1,31 @@
+"""Rare and common terms of the vocabularies (p2)."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lexatlas.io import table
+
+RARE_BELOW = 3
+
+
+@F.pandas_udf(StringType())
+def term_form(s: pd.Series) -> pd.Series:
+    """NFC, lower case, white space of every kind reduced to one space; null for what is blank."""
+    return s.map(lambda x: (" ".join(unicodedata.normalize("NFC", x).lower().split()) or None) if x is not None else None)
+
+
+def term_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2: terms below 3 people in all, and above a fifth of all cohorts' people."""
+    cohorts = table(spark, sf_dir, "cohorts")
+    v = table(spark, sf_dir, "vocabulary").join(F.broadcast(cohorts.select("cohort_id", "exported_at")), ["cohort_id", "exported_at"]).distinct()
+    by_spelling = v.groupBy("term").agg(F.sum("n_entities").alias("n"))
+    totals = by_spelling.select(term_form("term").alias("term"), "n").where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    people = cohorts.agg(F.sum("n_entities").alias("people"))
+    mark = F.when(F.col("n") < RARE_BELOW, "rare").when(F.col("n") * 5 > F.col("people"), "common")
+    return totals.crossJoin(F.broadcast(people)).select("term", mark.alias("mark")).where("mark IS NOT NULL")

@@ -1,0 +1,58 @@
+"""Each query against DuckDB or a plain computation in Python over the whole small tables, and hand-made edge cases."""
+
+import datetime as dt
+import os
+import sys
+from collections import Counter
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+import __spark_entry__ as entry  # noqa: E402
+
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.01")
+AT = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    s.sparkContext.setLogLevel("ERROR")
+    return s
+
+
+def found(spark, name, sf_dir=SF):
+    return Counter(tuple(r) for r in entry.queries()[name](spark, str(sf_dir)).collect())
+
+
+def put(sf_dir, name, rows, **types):
+    pq.write_table(pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(types.items())}), f"{sf_dir}/{name}.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_oracle(spark, name):
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    for f in os.listdir(SF):
+        c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    rows = c.execute(entry.oracle_sql()[name]).fetchall()
+    assert rows and found(spark, name) == Counter(rows)
+
+
+def test_groups_of_a_long_chain(spark, tmp_path):
+    s = pa.string()
+    n = 60
+    put(tmp_path, "metrics", [(f"P{i:03}", f"P{i + 1:03}", 0.9, 0.8) for i in range(n)] + [("Q1", "Q2", float("nan"), 0.8), ("Q3", "Q3", 1.0, 0.8), ("R1", "R2", 0.9, 0.8)], a=s, b=s, cosine=pa.float64(), threshold=pa.float64())
+    put(tmp_path, "pair_decisions", [("R2", "R1", " Distinct", AT), ("R1", "R2", None, AT + dt.timedelta(1)), ("S2", "S1", "MERGE ", AT)], a=s, b=s, decision=s, decided_at=pa.timestamp("us", "UTC"))
+    assert found(spark, "p3_found", tmp_path) == Counter([(f"P{i:03}", "P000") for i in range(n + 1)] + [("S1", "S1"), ("S2", "S1")])
+
+
+def test_gaps_of_open_nested_and_touching_periods(spark, tmp_path):
+    rows = [("A", 1990, 2003), ("A", 1995, 1996), ("A", 2004, 2005), ("A", 2008, 9999), ("B", None, 1980), ("B", 1985, None), ("C", 2010, 2000), ("C", 2001, 2002), (None, 1, 2), ("D", 0, 1990), ("D", 1970, 1980)]
+    put(tmp_path, "affiliations", rows, person_id=pa.string(), start_year=pa.int32(), end_year=pa.int32())
+    assert found(spark, "p4_found", tmp_path) == Counter([("A", 2006, 2007), ("B", 1981, 1984)])
