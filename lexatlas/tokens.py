@@ -1,0 +1,68 @@
+"""Token ids of the documents (p7) and the mix of their sources (p8)."""
+
+from __future__ import annotations
+
+import base64
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexatlas.io import table
+
+NAME = "byte_bpe_50k"
+
+
+def encoder():
+    """Encodes text, in which nothing is special."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(f"{NAME}.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
+    return tiktoken.Encoding(NAME, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _ids(batches):
+    import pyarrow as pa
+
+    encode = encoder()
+    for b in batches:
+        ids = [encode(t) if t else [] for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+
+def _counts(batches):
+    import pyarrow as pa
+
+    encode = encoder()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], ["key", "n"])
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p7: the ids of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_ids, "doc_id long, ids array<int>")
+
+
+def source_key(c: str):
+    """The name of a source without case and all but letters and digits."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]", "")
+
+
+def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, tokens, total, share wanted, reached) of every source of mix_targets with a positive weight."""
+    targets = table(spark, sf_dir, "mix_targets").where("weight > 0 AND NOT isnan(weight)").select("source", "weight", "max_repeat", source_key("source").alias("key"))
+    sizes = table(spark, sf_dir, "documents").select(source_key("source").alias("key"), "text").join(F.broadcast(targets.select("key").distinct()), "key").select("key", "text")
+    sizes = sizes.mapInArrow(_counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("tokens"))
+    weights = targets.agg(F.sum("weight").alias("weights"))
+    t = targets.join(sizes, "key", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).crossJoin(F.broadcast(weights))
+    # the totals are of the few rows of mix_targets
+    total = t.select("key", "tokens").distinct().agg(F.sum("tokens").alias("total"))
+    t = t.crossJoin(F.broadcast(total)).withColumn("wanted", F.col("weight") / F.col("weights"))
+    most = F.col("tokens") * F.col("max_repeat")
+    return t.select("source", "tokens", "total", "wanted", (most < F.col("wanted") * F.col("total")).alias("short"), F.least("wanted", most / F.col("total")).alias("reached"))
+
+
+def short_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p8: sources that cannot reach their share."""
+    return shares(spark, sf_dir).where("short").select("source")

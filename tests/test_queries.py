@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 import sys
 from collections import Counter
 
@@ -30,6 +31,10 @@ def found(spark, name, sf_dir=SF):
     return Counter(tuple(r) for r in entry.queries()[name](spark, str(sf_dir)).collect())
 
 
+def read(name):
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
 def put(sf_dir, name, rows, **types):
     pq.write_table(pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(types.items())}), f"{sf_dir}/{name}.parquet")
 
@@ -56,3 +61,50 @@ def test_gaps_of_open_nested_and_touching_periods(spark, tmp_path):
     rows = [("A", 1990, 2003), ("A", 1995, 1996), ("A", 2004, 2005), ("A", 2008, 9999), ("B", None, 1980), ("B", 1985, None), ("C", 2010, 2000), ("C", 2001, 2002), (None, 1, 2), ("D", 0, 1990), ("D", 1970, 1980)]
     put(tmp_path, "affiliations", rows, person_id=pa.string(), start_year=pa.int32(), end_year=pa.int32())
     assert found(spark, "p4_found", tmp_path) == Counter([("A", 2006, 2007), ("B", 1981, 1984)])
+
+
+def encode_plainly():
+    """Ids of text by the merges of the .json file, one merge at a time."""
+    import json
+
+    import public_tokenizers
+    import regex
+
+    model = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))["model"]
+    merges = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def piece(text):
+        w = [chars[b] for b in text.encode()]
+        while len(w) > 1 and (best := min(zip(w, w[1:]), key=lambda p: merges.get(p, 1 << 30))) in merges:
+            i, out = 0, []
+            while i < len(w):
+                two = tuple(w[i : i + 2]) == best
+                out.append("".join(w[i : i + 1 + two]))
+                i += 1 + two
+            w = out
+        return [model["vocab"][x] for x in w]
+
+    return lambda text: [i for p in regex.findall(public_tokenizers.PATTERN, text or "") for i in piece(p)]
+
+
+def test_ids_and_shares(spark):
+    encode = encode_plainly()
+    got = {k[0]: list(k[1]) for k in ((r.doc_id, tuple(r.ids)) for r in entry.queries()["p7_ids"](spark, SF).collect())}
+    docs = read("documents")
+    assert len(got) == len(docs)
+    assert all(got[r["doc_id"]] == encode(r["text"]) for r in docs if len(r["text"] or "") < 3000)
+    key = lambda x: re.sub(r"[^a-z0-9]", "", (x or "").lower())
+    tokens = Counter()
+    for r in docs:
+        tokens[key(r["source"])] += len(got[r["doc_id"]])
+    targets = [t for t in read("mix_targets") if t["weight"] > 0]
+    total, weights = sum(tokens[key(t["source"])] for t in targets), sum(t["weight"] for t in targets)
+    assert found(spark, "p8_found") == Counter((t["source"],) for t in targets if tokens[key(t["source"])] * t["max_repeat"] < t["weight"] / weights * total)
+
+
+def test_special_tokens_are_text(spark, tmp_path):
+    put(tmp_path, "documents", [(1, "<|endoftext|>"), (2, ""), (3, None)], doc_id=pa.int64(), text=pa.string())
+    got = {r.doc_id: r.ids for r in entry.queries()["p7_ids"](spark, str(tmp_path)).collect()}
+    assert got == {1: [27, 91, 437, 1659, 5239, 91, 29], 2: [], 3: []}
