@@ -1,0 +1,125 @@
+"""Languages of the segments of text parts, whatever their label says (p6)."""
+
+from __future__ import annotations
+
+import html
+import re
+import unicodedata
+from collections import Counter
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexatlas.io import table
+
+LEAST_WORDS, LEAST_HITS, LEAST_SHARE, LEAST_MARGIN = 5, 2, 0.12, 1.02
+
+#: Words that carry the grammar of each language, without accents.
+WORDS = {
+    "en": "the of and to in is was were are be been being has have had having that this these those it its with for on as by at from which when although because not but or an we our their they them he she his her you your my i between near whole across after before under over against than then there can cannot could should would may might will shall do does did how what where who whose why while since until into onto upon only also more most less few many much some any each every both either neither no nor such other another very too about using shown new first two three ten years study results region cases work earlier low high people children show shows suggest suggests depends follows gives differs explains responds compared measured related described separated replaced",
+    "fr": "le la les l un une des du de d et ou a au aux en dans par pour sur sous avec sans est sont ete etre avait ont qui que qu quoi dont ou ce cet cette ces c se s sa son ses leur leurs nous notre nos vous votre vos il elle ils elles on ne pas plus moins peu tres bien comme lorsque lorsqu quand si mais donc car parce afin ainsi aussi entre pres apres avant depuis pendant contre vers chez selon tout toute toutes tous cela ceci meme autre autres ni y je tu mon ma mes ton ta tes fait peut peuvent doit merite etude resultats indiquent region annees montrons travaux anterieurs contrairement reste suit depend reagit explique donne differe gens enfants partir releves",
+    "es": "el la los las un una unos unas de del y e o u a al en con por para sin sobre entre hasta desde segun tras es son fue fueron ser ha han sido se su sus lo que quien cuyo como cuando donde porque aunque pero mas menos muy ya no si esta este esto estas estos ese esa eso esos nuestro nuestra nuestros nuestras nos les le me te mi tu yo ella ellos ellas cual cada todo toda todos todas otro otra otros otras tambien durante mediante contra cerca ante bajo hay debe deberia estudio estudiarse resultados indican region anos decada mostramos trabajos anteriores contrario partir ofrece responde depende sigue explica distingue apenas guarda gente ninos muestran pequenas cuencas despues cuidadosa revision",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine in im an am auf aus bei beim mit nach seit von vom vor zu zum zur uber unter zwischen durch fur gegen ohne um ist sind war waren wird werden wurde wurden worden sein hat haben hatte kann konnen soll sollte muss es er sie wir ihr ihre ihren ihrer unser unsere unseren unserer sich als wie wenn weil obwohl dass ob da so noch nur auch sehr mehr kaum etwa dieser diese dieses diesem diesen welche welcher jeder jede alle allem anders fruheren arbeiten jahren drei kleinen untersuchung ergebnisse zeigen gebiet nahe geringer unsicherheit sorgfaltiger prufung anhand meisten proben genommen menschen kinder lernen gesamten neue neuer ganz wind stark",
+    "pt": "o a os as um uma uns umas de do da dos das e ou em no na nos nas ao aos num numa por pelo pela pelos pelas para com sem sobre entre ate desde apos e sao foi foram ser tem sido se seu sua seus suas que quem cujo como quando onde porque embora mas mais menos muito ja nao sim esta este isto estas estes esse essa isso nosso nossa nossos nossas lhe lhes me eu ele ela eles elas qual cada todo toda todos todas outro outra outros outras tambem durante contra perto aquilo aquele aquela estudo resultados indicam regiao anos ultima decada mostramos trabalhos anteriores contrario partir oferece nova responde depende segue explica distingue pessoas criancas mostram pequenas bacias depois cuidadosa revisao deveria boa parte devagar ligacao relacao casos sob",
+    "it": "il lo la i gli le un uno una l d di del dello della dell dei degli delle e ed o a ad al allo alla all ai agli alle da dal dallo dalla dall dai dagli dalle in nel nello nella nell nei negli nelle con su sul sullo sulla sull sui sugli sulle per tra fra e sono era stato stata stati state essere ha hanno si suo sua suoi sue che chi cui come quando dove perche benche anche ma piu meno molto gia non se questo questa questi queste quello quella nostro nostra nostri nostre ci ne mi ti io lui lei loro ogni tutto tutta tutti tutte altro altra altri altre durante contro vicino cio quanto studio risultati indicano regione anni decennio ultimo mostriamo lavori precedenti contrariamente partire offre nuova risponde dipende segue spiega distingue gente bambini mostrano piccoli bacini dopo attenta revisione andrebbe alcun legame casi meglio rilievi",
+}
+#: Endings of longer words, which count half as much.
+ENDINGS = {
+    "en": ("tion", "tions", "ing", "ly", "ness", "ed"), "fr": ("eux", "euse", "aux", "ement", "aient", "onne", "elle", "ees"), "es": ("cion", "ciones", "dad", "dades", "iento"),
+    "de": ("ung", "ungen", "keit", "heit", "lich", "liche", "ische", "schaft"), "pt": ("cao", "coes", "dade", "agem", "mento", "inho"), "it": ("zione", "zioni", "mente", "aggio", "etto", "ita"),
+}
+NAMES = {
+    "en": "en eng english", "fr": "fr fra fre french francais", "es": "es spa spanish espanol castellano",
+    "de": "de deu ger german deutsch", "pt": "pt por portuguese portugues", "it": "it ita italian italiano",
+}
+CODES = {name: lang for lang, names in NAMES.items() for name in names.split()}
+BY_WORD: dict[str, dict[str, float]] = {}
+for _lang, _words in WORDS.items():
+    for _w in set(_words.split()):
+        BY_WORD.setdefault(_w, {})[_lang] = 1.0
+#: A word of one language tells more than one that several share.
+BY_WORD = {w: {lang: 1.0 / len(langs) for lang in langs} for w, langs in BY_WORD.items()}
+
+TEX = re.compile(r"\\(?:cite|ref|label|url)\w*\*?(?:\[[^\]]*\])?\{[^}]*\}|\$[^$]*\$")
+SENTENCES = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|\s*[\r\n\u2028\u2029]+\s*|\s+[/|•–—]+\s+|;\s+")
+QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|\[[^\]]*\]|\([^()]*\)")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def bare(text: str) -> str:
+    """Lower case without accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower().replace("ß", "ss")) if not unicodedata.combining(c))
+
+
+def named(label: str | None) -> set[str]:
+    """The languages that a label names."""
+    out = set()
+    for x in bare(label or "").split("+"):
+        x = x.strip()
+        code = re.fullmatch(r"([a-z]{2,3})[-_][a-z0-9]+(?:[-_][a-z0-9]+)*", x)
+        if lang := CODES.get(code[1] if code else x):
+            out.add(lang)
+    return out
+
+
+def plain(content: str, form: str | None) -> str:
+    """Content without mark-up."""
+    if form == "jats":
+        content = re.sub(r"</?(?:italic|bold|sub|sup|i|b|em|sc)\b[^<>]*>", "", content)
+        content = html.unescape(re.sub(r"</?[a-zA-Z][^<>]*>", "\n", content))
+    elif form == "latex":
+        content = re.sub(r"[{}]", "", re.sub(r"\\[a-zA-Z]+\*?", " ", TEX.sub(" ", content)))
+    return content
+
+
+#: Letters that only some of the six languages write.
+LETTERS = {"ñ": "es", "ã": "pt", "õ": "pt", "ß": "de", "ä": "de", "á": "es pt", "í": "es pt", "ó": "es pt", "ú": "es pt", "ò": "it", "ì": "it", "ç": "fr pt", "œ": "fr", "î": "fr"}
+
+
+def scored(words: list[str], text: str = "") -> tuple[str | None, float]:
+    """The language of words, and how sure that is, from 0 to 1."""
+    totals, hits = Counter(), Counter()
+    for w in words:
+        for lang, x in BY_WORD.get(w, {}).items():
+            totals[lang] += x
+            hits[lang] += 1
+        if len(w) > 5:
+            for lang, ends in ENDINGS.items():
+                totals[lang] += 0.5 * w.endswith(ends)
+    for c in set(text.lower()) & LETTERS.keys():
+        for lang in LETTERS[c].split():
+            totals[lang] += 0.4
+    if not +totals:
+        return None, 0.0
+    # shared words count in full for the one whose own words are there
+    rank = sorted(((totals[x] + 0.5 * hits[x], x) for x in totals), reverse=True)
+    (best, lang), second = rank[0], rank[1][0] if len(rank) > 1 else 0.0
+    if hits[lang] < LEAST_HITS or hits[lang] < LEAST_SHARE * len(words) or best < LEAST_MARGIN * second:
+        return None, 0.0
+    return lang, (best - second) / best
+
+
+def segments(content: str | None, form: str | None) -> list[tuple[str, str | None, float, int]]:
+    """(sentence, language, confidence, words) in order; what is quoted inside a sentence does not count."""
+    out = []
+    for s in SENTENCES.split(plain(unicodedata.normalize("NFC", content or ""), form)):
+        words = WORD.findall(bare(QUOTED.sub(" ", s))) or WORD.findall(bare(s))
+        if words:
+            out.append((s, *scored(words, s), len(words)))
+    return out
+
+
+def _found(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        rows = []
+        for part_id, label, form, content in zip(*(c.to_pylist() for c in b.columns)):
+            langs = {lang for _, lang, _, n in segments(content, form) if lang and n >= LEAST_WORDS}
+            rows += [(part_id, lang) for lang in sorted(langs - named(label))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["part_id", "language"])
+
+
+def unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6: languages that a whole sentence of a part is in and that its label does not name."""
+    parts = table(spark, sf_dir, "parts").selectExpr("part_id", "language", "format", "cast(content AS string) AS content")
+    return parts.distinct().mapInArrow(_found, "part_id string, language string").distinct()
