@@ -108,3 +108,31 @@ def test_special_tokens_are_text(spark, tmp_path):
     put(tmp_path, "documents", [(1, "<|endoftext|>"), (2, ""), (3, None)], doc_id=pa.int64(), text=pa.string())
     got = {r.doc_id: r.ids for r in entry.queries()["p7_ids"](spark, str(tmp_path)).collect()}
     assert got == {1: [27, 91, 437, 1659, 5239, 91, 29], 2: [], 3: []}
+
+
+def test_languages_beside_the_label(spark, tmp_path):
+    rows = [
+        ("K1", "en_US", "plain", "The tide record and the shape of the dunes. Le marais et la part de sable fin dans la région."),
+        ("K2", "Français", "jats", "<p>Le march&#233; suit de près la forme des dunes (\"the way in which children learn verbs\").</p>"),
+        ("K3", "und", "latex", "Neste estudo, o solo rural responde devagar ao comércio local. \\cite{the way to the coast}"),
+        ("K4", "en+fr", "plain", "Una red de boyas y la profundidad del canal.\nSeit etwa zehn Jahren prägt das Register die Tiefe der Rinne."),
+        ("K5", None, "plain", "p = 0.03; n = 14"),
+        ("K6", "it", "plain", None),
+    ]
+    s = pa.string()
+    put(tmp_path, "parts", rows + rows[:1], part_id=s, language=s, format=s, content=pa.large_string())
+    assert found(spark, "p6_found", tmp_path) == Counter([("K1", "fr"), ("K3", "pt"), ("K4", "de"), ("K4", "es")])
+
+
+def test_content_of_documents(spark, tmp_path):
+    rows = [
+        (1, "The reef is deep. You are a complete i-d-i-o-t and everyone knows it."),
+        (2, "We coded 3 comments that call an author an idiot or a moron."),
+        (3, "The Velkari are v​ermin and should be driven out."),
+        (4, "Vidéos p***rno gratuites, filles nues et chaudes."),
+        (5, "The pornography trials of 1920 left few traces; cockle shells, breast cancer screening."),
+        (6, "Halt die Klappe, du Idiot. Die Velkari sind Ungeziefer!"),
+        (7, None),
+    ]
+    put(tmp_path, "documents", rows, doc_id=pa.int64(), text=pa.string())
+    assert found(spark, "p9_found", tmp_path) == Counter([(1, "abuse"), (3, "hate"), (4, "sexual"), (6, "abuse"), (6, "hate")])
