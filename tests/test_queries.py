@@ -136,3 +136,26 @@ def test_content_of_documents(spark, tmp_path):
     ]
     put(tmp_path, "documents", rows, doc_id=pa.int64(), text=pa.string())
     assert found(spark, "p9_found", tmp_path) == Counter([(1, "abuse"), (3, "hate"), (4, "sexual"), (6, "abuse"), (6, "hate")])
+
+
+def test_people_under_several_spellings(spark, tmp_path):
+    rows = [
+        ("P1", "Katherine Basiovic", "u1", "trade"), ("P2", "BASIVIC Kathy", "u1", None), ("P3", "  Basiovic,  K. ", "u1", "trade"),
+        ("P4", "Katherine Basiovic", "u2", "trade"), ("P5", "Prof. Jürgen van Zarofesar", "u1", None), ("P6", "juergen zarofesar", "u1", "soil"),
+        ("P7", "Priya Povotive", "u1", None), ("P8", "Susanna Povotive", "u1", None), ("P9", "S. Otherwise", "u1", None), ("P10", "Quite Different", "u1", None), ("P9", "S. Otherwise", "u1", None),
+    ]
+    s = pa.string()
+    at = pa.timestamp("us", "UTC")
+    put(tmp_path, "persons", [(*r, AT) for r in rows], person_id=s, person=s, unit=s, field=s, retrieved_at=at)
+    put(tmp_path, "pair_decisions", [("P9", "P10", "merge", AT)], a=s, b=s, decision=s, decided_at=at)
+    pairs = {("P1", "P2"), ("P1", "P3"), ("P2", "P3"), ("P5", "P6"), ("P10", "P9")}
+    assert found(spark, "p5_found", tmp_path) == Counter(pairs)
+
+
+def test_people_as_judged(spark):
+    from lexatlas import graph
+
+    got = set(found(spark, "p5_found"))
+    judged = [tuple(r) for r in graph.latest_decisions(spark, SF).collect()]
+    assert {(a, b) for a, b, d in judged if d == "merge"} <= got
+    assert not {(a, b) for a, b, d in judged if d == "distinct"} & got
