@@ -120,8 +120,10 @@ def harmful(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, category, documents, rate) of each source, its names made one."""
+    """(source, category, documents, rate) of each source, its names made one, for all three categories."""
     docs = table(spark, sf_dir, "documents").select("doc_id", source_key("source").alias("source"))
-    sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
-    hits = docs.join(harmful(spark, sf_dir), "doc_id").groupBy("source", "category").agg(F.count("*").alias("documents"))
-    return hits.join(sizes, hits["source"].eqNullSafe(sizes["source"])).select(hits["source"], "category", "documents", (F.col("documents") / F.col("n")).alias("rate"))
+    hits = harmful(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("category").alias("has"))
+    kinds = F.explode(F.array(*map(F.lit, RULES)))
+    counted = docs.join(hits, "doc_id", "left").select("source", "has", kinds.alias("category"))
+    of = F.coalesce(F.array_contains("has", F.col("category")), F.lit(False)).cast("int")
+    return counted.groupBy("source", "category").agg(F.sum(of).alias("documents"), F.avg(of).alias("rate"))

@@ -123,3 +123,18 @@ def unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p6: languages that a whole sentence of a part is in and that its label does not name."""
     parts = table(spark, sf_dir, "parts").selectExpr("part_id", "language", "format", "cast(content AS string) AS content")
     return parts.distinct().mapInArrow(_found, "part_id string, language string").distinct()
+
+
+def _segments(batches):
+    import pyarrow as pa
+
+    names, kinds = ["part_id", "position", "segment", "language", "confidence"], [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64()]
+    for b in batches:
+        rows = [(i, k, s, lang, sure) for i, form, content in zip(*(c.to_pylist() for c in b.columns)) for k, (s, lang, sure, _) in enumerate(segments(content, form))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence of every row of parts with its language, null if none, and how sure that is."""
+    parts = table(spark, sf_dir, "parts").selectExpr("part_id", "format", "cast(content AS string) AS content")
+    return parts.mapInArrow(_segments, "part_id string, position int, segment string, language string, confidence double")

@@ -159,3 +159,16 @@ def test_people_as_judged(spark):
     judged = [tuple(r) for r in graph.latest_decisions(spark, SF).collect()]
     assert {(a, b) for a, b, d in judged if d == "merge"} <= got
     assert not {(a, b) for a, b, d in judged if d == "distinct"} & got
+
+
+def test_segments_shares_and_rates_add_up(spark):
+    segments = entry.queries()["p6_segments"](spark, SF).collect()
+    named = Counter(r.language for r in segments)
+    assert min(named[x] for x in ("en", "fr", "es", "de", "pt", "it")) > 0 and all(0 <= r.confidence <= 1 for r in segments)
+    shares = entry.queries()["p8_shares"](spark, SF).collect()
+    assert abs(sum(r.wanted for r in shares) - 1) < 1e-9 and {r.source for r in shares if r.short} == {r[0] for r in found(spark, "p8_found")}
+    assert sum(r.tokens for r in shares) == shares[0].total
+    rates = entry.queries()["p9_rates"](spark, SF).collect()
+    found_by_category = Counter(k for _, k in found(spark, "p9_found"))
+    for category, n in found_by_category.items():
+        assert sum(r.documents for r in rates if r.category == category) == n
