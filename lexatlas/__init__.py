@@ -1,4 +1,4 @@
-"""Operators of the lexical atlas over the tables of TESTDATA.md, one module per kind of problem."""
+"""Lexical atlas on Spark: operators over tables of people, texts, terms and organisations."""
 
 import sys
 
