@@ -30,7 +30,7 @@ class PairTable:
     most: baskets with more distinct items count for nothing (None: no such limit). buckets: choose it so that one bucket fits a task.
     """
 
-    def __init__(self, spark: SparkSession, path: str, most: int | None = MOST_PIDS, buckets: int = 48):
+    def __init__(self, spark: SparkSession, path: str, most: int | None = MOST_PIDS, buckets: int = 24):
         self.spark, self.path, self.most, self.buckets = spark, path, most, buckets
         self.space = Workspace(spark, "pairs")
         self.version, self.total, self.at = 0, 0, {name: {} for name in SCHEMAS}
@@ -103,9 +103,12 @@ class PairTable:
     def _rescore(self, at: dict, d_items: DataFrame, d_pairs: DataFrame) -> None:
         """The scores of pairs whose own count or either marginal changed; N enters on reading, as it changes with every basket."""
         pairs, moved = self.read("pairs"), d_items.select("item")
-        affected = pairs.join(moved.withColumnRenamed("item", "a"), "a", "left_semi").select("bucket", "a", "b", "n")
-        affected = affected.unionByName(pairs.join(moved.withColumnRenamed("item", "b"), "b", "left_semi").select("bucket", "a", "b", "n"))
-        affected = self.space.written(affected.unionByName(pairs.join(d_pairs.select("a", "b"), ["a", "b"], "left_semi").select("bucket", "a", "b", "n")).distinct())
+        if self.at["scores"]:
+            affected = pairs.join(moved.withColumnRenamed("item", "a"), "a", "left_semi").select("bucket", "a", "b", "n")
+            affected = affected.unionByName(pairs.join(moved.withColumnRenamed("item", "b"), "b", "left_semi").select("bucket", "a", "b", "n"))
+            affected = self.space.written(affected.unionByName(pairs.join(d_pairs.select("a", "b"), ["a", "b"], "left_semi").select("bucket", "a", "b", "n")).distinct())
+        else:
+            affected = pairs  # none had a score before
         n = self.read("items")
         scored = self.space.written(join_hot(affected, n.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a"))
         scored = join_hot(scored, n.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b").select("bucket", "a", "b", F.col("n").alias("n_ab"), "n_a", "n_b")
