@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import cooccurrence
+from lexatlas.llm import cooccurrence, frequency, groups
 from lexatlas.llm.sql import SQL
 
 
@@ -10,6 +10,9 @@ def queries() -> dict:
     return {
         "p1_found": cooccurrence.p1_found,
         "p1_pairs": cooccurrence.p1_pairs,
+        "p2_found": frequency.p2_found,
+        "p2_terms": frequency.p2_terms,
+        "p3_found": groups.p3_found,
     }
 
 
