@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import cooccurrence, frequency, groups
+from lexatlas.llm import cooccurrence, frequency, groups, mixing, tokens
 from lexatlas.llm.sql import SQL
 
 
@@ -13,6 +13,10 @@ def queries() -> dict:
         "p2_found": frequency.p2_found,
         "p2_terms": frequency.p2_terms,
         "p3_found": groups.p3_found,
+        "p7_ids": tokens.p7_ids,
+        "p8_found": mixing.p8_found,
+        "p8_shares": mixing.p8_shares,
+        "p8_mix": mixing.p8_mix,
     }
 
 
