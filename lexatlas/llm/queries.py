@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import cooccurrence, frequency, groups, mixing, tokens
+from lexatlas.llm import cooccurrence, frequency, groups, language, mixing, tokens
 from lexatlas.llm.sql import SQL
 
 
@@ -13,6 +13,9 @@ def queries() -> dict:
         "p2_found": frequency.p2_found,
         "p2_terms": frequency.p2_terms,
         "p3_found": groups.p3_found,
+        "p6_found": language.p6_found,
+        "p6_segments": language.p6_segments,
+        "p6_parts": language.p6_parts,
         "p7_ids": tokens.p7_ids,
         "p8_found": mixing.p8_found,
         "p8_shares": mixing.p8_shares,
