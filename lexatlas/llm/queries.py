@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import cooccurrence, frequency, groups, language, mixing, tokens
+from lexatlas.llm import cooccurrence, frequency, groups, harmful, language, mixing, tokens
 from lexatlas.llm.sql import SQL
 
 
@@ -20,6 +20,9 @@ def queries() -> dict:
         "p8_found": mixing.p8_found,
         "p8_shares": mixing.p8_shares,
         "p8_mix": mixing.p8_mix,
+        "p9_found": harmful.p9_found,
+        "p9_scores": harmful.p9_scores,
+        "p9_rates": harmful.p9_rates,
     }
 
 
