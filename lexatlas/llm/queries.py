@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import cooccurrence, frequency, groups, harmful, language, mixing, tokens
+from lexatlas.llm import cooccurrence, frequency, groups, harmful, language, mixing, names, tokens
 from lexatlas.llm.sql import SQL
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "p2_found": frequency.p2_found,
         "p2_terms": frequency.p2_terms,
         "p3_found": groups.p3_found,
+        "p5_found": names.p5_found,
         "p6_found": language.p6_found,
         "p6_segments": language.p6_segments,
         "p6_parts": language.p6_parts,
