@@ -37,24 +37,45 @@ def bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower().replace("ø", "o").replace("ß", "ss")) if not unicodedata.combining(c))
 
 
+#: What given_name and same_given said before, for as long as a task runs; names repeat a lot.
+SAID: dict = {}
+
+
 def near(x: str, y: str, most: int = 1) -> int:
-    """Edits between x and y (a swap of neighbours is one), most + 1 if more."""
+    """Edits between two words, most + 1 if they are more; two letters swapped are one edit. Short words must be equal. Only a band of 2 * most + 1 is computed."""
     if x == y:
         return 0
-    if abs(len(x) - len(y)) > most or min(len(x), len(y)) < 4:
+    n, m = len(x), len(y)
+    if abs(n - m) > most or min(n, m) < 4:
         return most + 1
-    last, row = None, list(range(len(y) + 1))
-    for i, c in enumerate(x, 1):
-        last2, last, row = last, row, [i]
-        for j, d in enumerate(y, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
-            if i > 1 and j > 1 and c == y[j - 2] and x[i - 2] == d:
-                row[-1] = min(row[-1], last2[j - 2] + 1)
-    return min(row[-1], most + 1)
+    far = most + 1
+    last2, last, row = None, None, [j if j <= most else far for j in range(m + 1)]
+    for i in range(1, n + 1):
+        c = x[i - 1]
+        last2, last, row = last, row, [far] * (m + 1)
+        if i <= most:
+            row[0] = i
+        low, high = max(1, i - most), min(m, i + most)
+        for j in range(low, high + 1):
+            d = y[j - 1]
+            v = last[j - 1] + (c != d)
+            if last[j] + 1 < v:
+                v = last[j] + 1
+            if row[j - 1] + 1 < v:
+                v = row[j - 1] + 1
+            if i > 1 and j > 1 and c == y[j - 2] and x[i - 2] == d and last2[j - 2] + 1 < v:
+                v = last2[j - 2] + 1
+            row[j] = min(v, far)
+        if min(row[low - 1 : high + 1]) > most and min(last) > most:
+            return far
+    return row[m]
 
 
 def given_name(x: str) -> bool:
-    return x in GIVEN or len(x) > 4 and any(abs(len(g) - len(x)) < 2 and near(x, g) < 2 for g in GIVEN)
+    """Whether a word is a given name or one edit from it."""
+    if x not in SAID:
+        SAID[x] = x in GIVEN or len(x) > 4 and any(near(x, g) < 2 for g in GIVEN)
+    return SAID[x]
 
 
 def parsed(name: str | None) -> dict | None:
@@ -94,14 +115,23 @@ def parsed(name: str | None) -> dict | None:
             sur, given = t[n:], t[:n]
     # rn is read as m, and ström also typed stroem
     words = [y.replace("rn", "m").replace("stroem", "strom") for x, kind in sur if kind == "w" for y in re.split(r"[^a-z]+", bare(x)) if y]
+    first = re.findall(r"[^\W\d_]+", given[0][0]) if given else []
     given = [re.sub(r"[^a-z]", "", bare(x)) for x, _ in given]
     if not words or not given:
         return None
+    if len(first) == 2:  # Hans-Peter may be typed H.-P. or HP
+        given.insert(1, "-" + bare(first[1])[:1])
     return {"sur": words[0], "sur2": words[1] if len(words) > 1 else "", "part": " ".join(bare(x) for x, kind in sur if kind == "p"), "first": given[0], "mid": " ".join(given[1:])}
 
 
 def same_given(x: str, y: str) -> tuple[bool, bool, int]:
     """Whether they can be one name, whether both are written out, and edits."""
+    if (x, y) not in SAID:
+        SAID[x, y] = _same_given(x, y)
+    return SAID[x, y]
+
+
+def _same_given(x: str, y: str) -> tuple[bool, bool, int]:
     if len(x) == 1 or len(y) == 1:
         if len(x) > 1:
             x, y = y, x
@@ -116,6 +146,12 @@ def same_given(x: str, y: str) -> tuple[bool, bool, int]:
     return edits < 2, True, edits
 
 
+def middles(names: str) -> list[list[str]]:
+    """Middle names, with the second half of a compound first name and without."""
+    m = names.split()
+    return [[x.removeprefix("-") for x in m], *([[x for x in m if x[0] != "-"]] if "-" in names else [])]
+
+
 def alike(p: dict, q: dict, most: int = 1) -> int:
     """0 if they can't be one person; 2 if their first names are written out, else 1."""
     if p["unit"] and q["unit"] and p["unit"] != q["unit"] or p["field"] and q["field"] and p["field"] != q["field"]:
@@ -128,7 +164,7 @@ def alike(p: dict, q: dict, most: int = 1) -> int:
     ok, full, more = same_given(p["first"], q["first"])
     if not ok or edits + more > most + 1:
         return 0
-    if p["mid"] and q["mid"] and not all(same_given(x, y)[0] for x, y in zip(p["mid"].split(), q["mid"].split())):
+    if p["mid"] and q["mid"] and not any(all(same_given(x, y)[0] for x, y in zip(a, b)) for a in middles(p["mid"]) for b in middles(q["mid"])):
         return 0
     return 1 + full
 
