@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexatlas.operators import intervals
+from lexatlas.operators import intervals, scoring, texts
 
-MODULES = [intervals]
+MODULES = [intervals, texts, scoring]
 
 
 def queries() -> dict:
