@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexatlas.operators import intervals, scoring, texts
+from lexatlas.operators import graph, intervals, scoring, texts
 
-MODULES = [intervals, texts, scoring]
+MODULES = [intervals, texts, scoring, graph]
 
 
 def queries() -> dict:
