@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexatlas.operators import graph, intervals, scoring, texts
+from lexatlas.operators import graph, intervals, scoring, space, texts, trajectories
+from lexatlas.streaming import events
 
-MODULES = [intervals, texts, scoring, graph]
+MODULES = [intervals, texts, scoring, graph, space, trajectories, events]
 
 
 def queries() -> dict:

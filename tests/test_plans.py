@@ -1,0 +1,17 @@
+"""Plans of the queries: nothing that grows with the product of two tables, and no Python row by row."""
+
+import pytest
+from conftest import SF
+
+from lexatlas.plans import registry
+
+#: Two histograms of a bounded number of rows are compared by range.
+RANGES = {"agg6_percentiles", "mg18_auc"}
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_plan(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+    assert name in RANGES or "BroadcastNestedLoopJoin" not in plan
+    assert "windowspecdefinition(" not in plan or "Window [" in plan
