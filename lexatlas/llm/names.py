@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -228,10 +229,10 @@ def _alike(batches):
         yield df.loc[df["score"] > 0, ["a_id", "b_id", "score"]].rename(columns={"a_id": "a", "b_id": "b"})
 
 
-def _resolved(df: pd.DataFrame) -> pd.DataFrame:
+def _resolved(rows: list[dict]) -> list[tuple[str, str]]:
     """Pairs of the persons in one component: links by written-out names first; an initial joins only where one person fits."""
-    records = {r["id"]: r for side in "ab" for r in _records(df, side)}
-    links = {(a, b): s for a, b, s in zip(df["a_id"], df["b_id"], df["score"])}
+    records = {r[f"{x}_id"]: {k: r[f"{x}_{k}"] for k in FIELDS} for x in "ab" for r in rows}
+    links = {(r["a_id"], r["b_id"]): r["score"] for r in rows}
     apart = {(a, b) for (a, b), s in links.items() if s == 0}
     group = {i: [i] for i in records}
 
@@ -272,7 +273,20 @@ def _resolved(df: pd.DataFrame) -> pd.DataFrame:
         if len(choice) == 1 or choice and all(fits(x, y) for x in choice for y in choice if x is not y):
             join(choice[0], group[i])
     whole = {id(g): sorted(g) for g in group.values()}.values()
-    return pd.DataFrame([(a, b) for g in whole for k, a in enumerate(g) for b in g[k + 1 :]], columns=["person_a", "person_b"])
+    return [(a, b) for g in whole for k, a in enumerate(g) for b in g[k + 1 :]]
+
+
+def _by_root(batches):
+    """Resolves the components of a task one after the other, as they come sorted by root."""
+    import pyarrow as pa
+
+    def rows():
+        for b in batches:
+            yield from b.to_pylist()
+
+    for _, own in groupby(rows(), key=lambda r: r["root"]):
+        if out := _resolved(list(own)):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.string()) for i in (0, 1)], ["person_a", "person_b"])
 
 
 def candidates(records: DataFrame) -> DataFrame:
@@ -325,7 +339,9 @@ def same_people(spark: SparkSession, sf_dir: str, use_decisions: bool = True) ->
     # those judged distinct stay apart where others link them
     d0 = d.where("score = 0").join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").where("ra = rb").select("a", "b", "score")
     links = whole(links.unionByName(d0)).join(of.toDF("a", "root"), "a").select("root", "score", *side["a"].columns, *side["b"].columns)
-    pairs = links.groupBy("root").applyInPandas(lambda df: _resolved(df), "person_a string, person_b string")
+    # a fixed number of tasks: the rows are few for the time they take, so Spark would put them in too few
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pairs = links.repartition(tasks, "root").sortWithinPartitions("root").mapInArrow(_by_root, "person_a string, person_b string")
     # back from classes to persons: pairs of two classes, and pairs within one
     m = lambda c: member.select(F.col("id").alias(c), F.col("member").alias(f"{c}_member"))
     across = pairs.join(m("person_a"), "person_a").join(m("person_b"), "person_b").select(F.col("person_a_member").alias("a"), F.col("person_b_member").alias("b"))
