@@ -8,4 +8,4 @@ from lexatlas.plans import registry
 
 @pytest.mark.parametrize("name", sorted(registry.sql()))
 def test_parity(spark, db, name):
-    same_as_sql(spark, db, registry.queries()[name], registry.sql()[name])
+    same_as_sql(spark, db, name, registry.queries()[name], registry.sql()[name])
