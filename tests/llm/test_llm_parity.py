@@ -8,4 +8,4 @@ from lexatlas.llm import queries
 
 @pytest.mark.parametrize("name", sorted(queries.sql()))
 def test_parity(spark, db, name):
-    same_as_sql(spark, db, queries.queries()[name], queries.sql()[name])
+    same_as_sql(spark, db, name, queries.queries()[name], queries.sql()[name])
