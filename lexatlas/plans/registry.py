@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexatlas.operators import graph, intervals, people, scoring, space, texts, themes, trajectories
+from lexatlas.operators import graph, intervals, keywords, people, scoring, space, texts, themes, trajectories
 from lexatlas.streaming import events
 
-MODULES = [intervals, texts, scoring, graph, people, space, themes, trajectories, events]
+MODULES = [intervals, texts, scoring, graph, keywords, people, space, themes, trajectories, events]
 
 
 def queries() -> dict:
