@@ -21,6 +21,8 @@ from lexatlas.sources import Workspace, table
 LEAST_WORDS = 5
 #: Rows to fit on (about, as a hash picks them), hash bits, longest n-gram, rounds of fitting.
 TRAIN_ROWS, HASH_BITS, LONGEST, ROUNDS = 20_000, 16, 4, 3
+#: Characters that are scored at once.
+AT_ONCE = 300_000
 #: Every class counts as so many n-grams, whatever its share of the sample; SMOOTH is added to each bucket. SEED_SHARE of the mass is the seeds'.
 MASS, SMOOTH, SEED_SHARE = 200_000.0, 0.05, 0.02
 #: A segment has no language if its n-grams are on average less likely than this in every language, or less than LEAST_LEAD apart between the first two.
@@ -106,12 +108,27 @@ def grams(texts: list[str], bits: int = HASH_BITS, longest: int = LONGEST) -> tu
     return (np.concatenate(buckets), np.concatenate(owners)) if buckets else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def chunks(texts: list[str], most: int = AT_ONCE):
+    """Slices of texts of at most `most` characters, or of one longer text, so that memory doesn't grow with the batch."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def counted(texts: list[str], classes: np.ndarray) -> np.ndarray:
     """Counts of buckets by class; class -1 counts nowhere."""
-    b, owner = grams(texts)
-    k = classes[owner] if len(owner) else owner
-    ok = k >= 0
-    return np.bincount(b[ok] * len(LANGS) + k[ok], minlength=len(LANGS) << HASH_BITS).reshape(-1, len(LANGS)).astype(np.float64)
+    total = np.zeros(len(LANGS) << HASH_BITS)
+    for own in chunks(texts):
+        b, owner = grams(texts[own])
+        k = classes[own][owner]
+        ok = k >= 0
+        total += np.bincount(b[ok] * len(LANGS) + k[ok], minlength=len(total))
+    return total.reshape(-1, len(LANGS))
 
 
 def fitted(counts: np.ndarray | None) -> np.ndarray:
@@ -128,10 +145,14 @@ def scored(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The class of each text, -1 for none, and its posterior probability. That is tempered by the root of the number of n-grams, which depend on each other."""
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0)
+    got = [_scored(texts[own], matrix) for own in chunks(texts)]
+    return np.concatenate([best for best, _ in got]), np.concatenate([sure for _, sure in got])
+
+
+def _scored(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     b, owner = grams(texts)
     n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-    rows = matrix[b]
-    total = np.stack([np.bincount(owner, rows[:, k], minlength=len(texts)) for k in range(matrix.shape[1])], 1)
+    total = np.stack([np.bincount(owner, matrix[b, k], minlength=len(texts)) for k in range(matrix.shape[1])], 1)
     two = np.sort(total, 1)[:, -2:] / n[:, None]
     best = np.where((two[:, 1] >= LEAST_LIKELY) & (two[:, 1] - two[:, 0] >= LEAST_LEAD), total.argmax(1), -1)
     p = np.exp((total - total.max(1, keepdims=True)) / np.sqrt(n)[:, None])
